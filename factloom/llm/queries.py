@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, secret_scan, simhash_dedup
+from factloom.llm import bpe, lm_scoring, quality_classifier, quality_rules, secret_scan, simhash_dedup
 from factloom.llm._text import read_table
 
 
@@ -21,16 +21,31 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digests(read_table(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return quality_classifier.score(docs, quality_classifier.train(docs, labels))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = read_table(spark, sf_dir, "labels").where("quality = 1")
+    return quality_rules.judge(read_table(spark, sf_dir, "documents"), good)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(read_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, good = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels").where("quality = 1")
+    return lm_scoring.score(docs, lm_scoring.fit(docs, good))
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ours = [op1_secret_scan, op4_bpe, op10_simhash_dedup]
+    ours = [op1_secret_scan, op2_quality_classifier, op3_quality_rules, op4_bpe, op5_lm_scoring, op10_simhash_dedup]
     return {f.__name__: f for f in ours}
 
 
