@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, lm_scoring, quality_classifier, quality_rules, secret_scan, simhash_dedup
+from factloom.llm import bpe, lm_scoring, quality_classifier, quality_rules, secret_scan, simhash_dedup, toxicity
 from factloom.llm._text import read_table
 
 
@@ -40,12 +40,17 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(docs, lm_scoring.fit(docs, good))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return toxicity.score(docs, toxicity.train(docs, labels))
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ours = [op1_secret_scan, op2_quality_classifier, op3_quality_rules, op4_bpe, op5_lm_scoring, op10_simhash_dedup]
+    ours = [op1_secret_scan, op2_quality_classifier, op3_quality_rules, op4_bpe, op5_lm_scoring, op9_toxicity, op10_simhash_dedup]
     return {f.__name__: f for f in ours}
 
 
