@@ -80,11 +80,16 @@ class _Powers:
 _POWERS = _Powers()
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of an odd multiplier, and their inverses, mod 2**64."""
+    return _POWERS.get(n)
+
+
 class SpanHasher:
     """64-bit hashes of byte ranges in constant time each."""
 
     def __init__(self, data: np.ndarray) -> None:
-        up, self.down = _POWERS.get(len(data) + 1)
+        up, self.down = powers(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=self.sums[1:])
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, lm_scoring, quality_classifier, quality_rules, secret_scan, simhash_dedup, toxicity
+from factloom.llm import bpe, decontaminate, lm_scoring, quality_classifier, quality_rules, secret_scan, simhash_dedup, toxicity
 from factloom.llm._text import read_table
 
 
@@ -40,6 +40,10 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(docs, lm_scoring.fit(docs, good))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     return toxicity.score(docs, toxicity.train(docs, labels))
@@ -50,7 +54,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ours = [op1_secret_scan, op2_quality_classifier, op3_quality_rules, op4_bpe, op5_lm_scoring, op9_toxicity, op10_simhash_dedup]
+    ours = [op1_secret_scan, op2_quality_classifier, op3_quality_rules, op4_bpe, op5_lm_scoring, op8_decontamination, op9_toxicity, op10_simhash_dedup]
     return {f.__name__: f for f in ours}
 
 
