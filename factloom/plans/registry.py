@@ -22,3 +22,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return add
+
+
+from factloom.plans import facts  # noqa: E402, F401
