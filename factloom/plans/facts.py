@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -279,18 +281,18 @@ def low_yield_guard(spark: SparkSession, sf: str) -> DataFrame:
 # Orders and limits
 
 
-def _top(name: str, by: str, cols: list, sql_order: str, n: int) -> None:
+def _top(name: str, by: str, cols: Callable[[], list], sql_order: str, n: int) -> None:
     @query(name, f"WITH {ACTIVE} SELECT fact_id, {by} FROM active ORDER BY {sql_order} LIMIT {n}")
     def top(spark: SparkSession, sf: str) -> DataFrame:
         """SRT-01 to SRT-06: a top-k over a custom order."""
-        return active(spark, sf).orderBy(*cols).limit(n).select("fact_id", by)
+        return active(spark, sf).orderBy(*cols()).limit(n).select("fact_id", by)
 
 
-_top("order_by_tier", "tier", [R.ordered_choice("tier", TIER_ORDER), F.desc("recurrence"), F.asc("fact_id")], f"{_TIER_SQL}, recurrence DESC, fact_id", 100)
-_top("order_by_depth", "depth", [R.ordered_choice("depth", DEPTH_ORDER), F.desc("recurrence"), F.asc("fact_id")], f"{_DEPTH_SQL}, recurrence DESC, fact_id", 100)
-_top("order_identity_first", "predicate", [F.when(F.col("predicate") == "identifies_as", 0).otherwise(1), F.desc("recurrence"), F.asc("fact_id")], "CASE WHEN predicate = 'identifies_as' THEN 0 ELSE 1 END, recurrence DESC, fact_id", 60)
-_top("top_by_confidence", "confidence", [F.desc("confidence"), F.asc("fact_id")], "confidence DESC, fact_id", 50)
-_top("latest_inserted", "predicate", [F.desc("fact_id")], "fact_id DESC", 30)
+_top("order_by_tier", "tier", lambda: [R.ordered_choice("tier", TIER_ORDER), F.desc("recurrence"), F.asc("fact_id")], f"{_TIER_SQL}, recurrence DESC, fact_id", 100)
+_top("order_by_depth", "depth", lambda: [R.ordered_choice("depth", DEPTH_ORDER), F.desc("recurrence"), F.asc("fact_id")], f"{_DEPTH_SQL}, recurrence DESC, fact_id", 100)
+_top("order_identity_first", "predicate", lambda: [F.when(F.col("predicate") == "identifies_as", 0).otherwise(1), F.desc("recurrence"), F.asc("fact_id")], "CASE WHEN predicate = 'identifies_as' THEN 0 ELSE 1 END, recurrence DESC, fact_id", 60)
+_top("top_by_confidence", "confidence", lambda: [F.desc("confidence"), F.asc("fact_id")], "confidence DESC, fact_id", 50)
+_top("latest_inserted", "predicate", lambda: [F.desc("fact_id")], "fact_id DESC", 30)
 
 
 @query(

@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from factloom.plans import facts  # noqa: E402, F401
+from factloom.plans import facts, joins  # noqa: E402, F401
