@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from factloom.plans import audits, events, facts, joins, texts  # noqa: E402, F401
+from factloom.plans import audits, events, facts, joins, lifecycle, texts  # noqa: E402, F401
