@@ -164,7 +164,8 @@ def suspicious(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         a, leet, gap = _is_letter[data], _is_leet[data], _is_gap[data]
         low = _LOWER[data]
         digit = leet & (data < 65) & (data != 33)
-        hit[1:-1] |= leet[1:-1] & a[2:] | digit[1:-1] & a[:-2]
+        hit[:-1] |= leet[:-1] & a[1:]
+        hit[1:] |= digit[1:] & a[:-1]
         hit[1:-1] |= a[1:-1] & (low[1:-1] == low[2:]) & (low[1:-1] == low[:-2])
         one = a | leet
         alone = one.copy()
