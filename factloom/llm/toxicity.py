@@ -159,32 +159,31 @@ class Restorer:
 def suspicious(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Rows whose lattice may have more than one path (a superset)."""
     n = len(data)
+    if not n:
+        return np.zeros(len(offs) - 1, bool)
     hit = np.zeros(n, bool)
-    if n >= 5:
-        a, leet, gap = _is_letter[data], _is_leet[data], _is_gap[data]
-        low = _LOWER[data]
-        digit = leet & (data < 65) & (data != 33)
-        hit[:-1] |= leet[:-1] & a[1:]
-        hit[1:] |= digit[1:] & a[:-1]
-        hit[1:-1] |= a[1:-1] & (low[1:-1] == low[2:]) & (low[1:-1] == low[:-2])
-        one = a | leet
-        alone = one.copy()
-        alone[1:] &= ~one[:-1]
-        alone[:-1] &= ~one[1:]
-        hit[: n - 4] |= alone[:-4] & gap[1:-3] & alone[2:-2] & gap[3:-1] & alone[4:]
-    elif n:
-        hit[:] = True
+    first, last = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+    first[offs] = True
+    last[:-1] = first[1:]
+    first, last = first[:n], last[:n]
+    a, leet, gap, low = _is_letter[data], _is_leet[data], _is_gap[data], _LOWER[data]
+    digit = leet & (data < 65) & (data != 33)
+    hit[:-1] |= leet[:-1] & a[1:]
+    hit[1:] |= digit[1:] & a[:-1]
+    hit[1:-1] |= a[1:-1] & (low[1:-1] == low[2:]) & (low[1:-1] == low[:-2])
+    one = a | leet
+    alone = one.copy()
+    alone[1:] &= ~one[:-1] | first[1:]
+    alone[:-1] &= ~one[1:] | last[:-1]
+    hit[: max(0, n - 4)] |= alone[:-4] & gap[1:-3] & alone[2:-2] & gap[3:-1] & alone[4:]
+    # letters of two bytes that stand alone, or repeat
+    w = np.flatnonzero((data[:-1] >= 0xC2) & (data[:-1] <= 0xDF)) if n > 1 else np.zeros(0, np.int64)
+    before, after = np.concatenate([[True], gap])[w] | first[w], np.concatenate([gap, [True, True]])[w + 2] | last[w + 1]
+    hit[w[before & after]] = True
+    w = w[w + 5 < n]
+    hit[w[(data[w] == data[w + 2]) & (data[w + 1] == data[w + 3]) & (data[w] == data[w + 4]) & (data[w + 1] == data[w + 5])]] = True
     edge = np.concatenate([[0], np.cumsum(hit)])
-    # multi-byte letters repeat or stand apart by more than one byte
-    wide = np.zeros(len(offs) - 1, bool)
-    high = data >= 0xC0
-    if n >= 9 and high.any():
-        w = np.flatnonzero(high[: n - 5])
-        rep = w[(data[w] == data[w + 2]) & (data[w + 1] == data[w + 3]) & (data[w] == data[w + 4]) & (data[w + 1] == data[w + 5])]
-        apart = np.flatnonzero(high[1 : n - 4]) + 1
-        apart = apart[_is_gap[data[apart - 1]] & _is_gap[data[apart + 2]]]
-        wide[np.searchsorted(offs, np.concatenate([rep, apart]), "right") - 1] = True
-    return (edge[offs[1:]] > edge[offs[:-1]]) | wide
+    return edge[offs[1:]] > edge[offs[:-1]]
 
 
 def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
