@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,13 +35,19 @@ def sentence_chunks(text: Column, size: int = 15, overlap: int = 2) -> Column:
     return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(starts, lambda k: F.array_join(F.slice(sentences, k * step + 1, F.lit(size)), " ")))
 
 
-def greedy_distinct(df: DataFrame, group: str, order: Sequence[Column], id_col: str, words: Column, threshold: float, keep: int) -> DataFrame:
+def greedy_distinct(df: DataFrame, group: str, order: Sequence[Column], id_col: str, words: Column, threshold: float, keep: int, first: int = 500) -> DataFrame:
     """(group, id, place) kept by a greedy walk: a row too like a kept one (Jaccard) is passed over.
 
-    A group is one task's: it should be a bounded set of candidates, such as
-    the retrieved facts of a category.
+    The walk mostly ends among the first candidates, so it is given the first
+    ``first`` of each group; groups whose quota those leave open are walked
+    again with eight times as many, until every group is full or exhausted.
     """
-    ranked = df.select(group, F.col(id_col).alias("__id"), words.alias("__words"), F.struct(*[c for c in order]).alias("__order"))
+    from factloom.operators.durable import durable
+
+    kind = dict(df.dtypes)
+    ranked = df.select(F.col(group).alias("group"), F.col(id_col).alias("__id"), words.alias("__words"), F.struct(*order).alias("__order"))
+    placed = ranked.withColumn("__place", F.row_number().over(Window.partitionBy("group").orderBy("__order")))
+    sizes = ranked.groupBy("group").agg(F.count("*").alias("n_rows"))
 
     def walk(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values("__place")
@@ -52,13 +58,22 @@ def greedy_distinct(df: DataFrame, group: str, order: Sequence[Column], id_col:
                 kept.append((i, w))
                 if len(kept) == keep:
                     break
-        return pd.DataFrame({"group": t[group].iloc[0], "id": [i for i, _ in kept], "place": range(1, len(kept) + 1)})
-
-    from pyspark.sql import Window
-
-    placed = ranked.withColumn("__place", F.row_number().over(Window.partitionBy(group).orderBy("__order")))
-    kind = dict(df.dtypes)
-    return placed.groupBy(group).applyInPandas(walk, f"group {kind[group]}, id {kind[id_col]}, place int").withColumnRenamed("group", group)
+        return pd.DataFrame({"group": t["group"].iloc[0], "id": [i for i, _ in kept], "place": range(1, len(kept) + 1)})
+
+    found, todo = None, None
+    while True:
+        part = placed.where(F.col("__place") <= first)
+        if todo is not None:
+            part = part.join(todo, part["group"].eqNullSafe(todo["open"]), "left_semi")
+        out = durable(part.groupBy("group").applyInPandas(walk, f"group {kind[group]}, id {kind[id_col]}, place int"))
+        filled = out.groupBy(F.col("group").alias("g")).agg(F.count("*").alias("k"))
+        left = sizes.where(F.col("n_rows") > first).join(filled, F.col("group").eqNullSafe(F.col("g"))).where(F.col("k") < keep)
+        todo = durable(left.select(F.col("group").alias("open")))
+        done = out.join(todo, out["group"].eqNullSafe(todo["open"]), "left_anti")
+        found = done if found is None else found.union(done)
+        if todo.isEmpty():
+            return found.withColumnRenamed("group", group)
+        first *= 8
 
 
 def capped_by_topic(items: Column, most: int, slots: int) -> Column:

@@ -16,3 +16,19 @@ def match_all(index: DataFrame, terms: list[str], id_col: str) -> DataFrame:
     """Ids of the documents that hold every term."""
     wanted = sorted({t.lower() for t in terms})
     return index.where(F.col("term").isin(wanted)).groupBy(id_col).agg(F.count("*").alias("n")).where(F.col("n") == len(wanted)).select(id_col)
+
+
+#: Literal terms that one pass broadcasts; more are taken in blocks by hash.
+TERM_BOUND = 10_000
+
+
+def term_hits(df: DataFrame, text_col: str, terms: DataFrame) -> DataFrame:
+    """(term, n): the texts that contain each term, terms without any left out."""
+    n = terms.count()
+    blocks = n // TERM_BOUND + 1
+    parts = [terms] if blocks == 1 else [terms.where(F.pmod(F.xxhash64("term"), F.lit(2 * blocks)) == b) for b in range(2 * blocks)]
+    out = None
+    for part in parts:
+        hits = df.select(text_col).join(F.broadcast(part), F.contains(F.col(text_col), F.col("term"))).groupBy("term").agg(F.count("*").alias("n"))
+        out = hits if out is None else out.union(hits)
+    return out

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Query vectors that one pass broadcasts; a larger set is taken in blocks by hash.
 QUERY_BOUND = 20_000
+#: Rows of a block of the pair search; two blocks are one task's.
+BLOCK_ROWS = 4096
 
 
 def matrix(arr: pa.Array) -> np.ndarray:
@@ -65,12 +67,15 @@ def knn(queries: DataFrame, items: DataFrame, q_id: str, i_id: str, vector: str,
     return ranked.select(F.col("q").alias(q_id), F.col("i").alias("item_" + i_id if i_id == q_id else i_id), F.col("s").alias("similarity"), "rank")
 
 
-def similar_pairs(df: DataFrame, i_id: str, vector: str, threshold: float, parts: int = 8) -> DataFrame:
+def similar_pairs(df: DataFrame, i_id: str, vector: str, threshold: float, parts: int | None = None) -> DataFrame:
     """(a, b, similarity), a < b, of all pairs at or above the threshold.
 
-    Rows are packed into blocks by hash; every pair of blocks meets in one task
-    and is compared by one matrix product, so only pairs that pass leave it.
+    Rows are packed by hash into blocks of about ``BLOCK_ROWS``, as many as the
+    rows need; every pair of blocks meets in one group and is compared by
+    matrix products, so a group is bounded and only pairs that pass leave it.
     """
+    if parts is None:
+        parts = max(2, df.count() // BLOCK_ROWS + 1)
     packed = df.select(F.col(i_id).cast("long").alias("i"), F.col(vector).alias("v")).withColumn("block", F.pmod(F.xxhash64("i"), F.lit(parts)).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda o: F.least("block", o) * parts + F.greatest("block", o))
     spread = packed.withColumn("meet", F.explode(meets))

@@ -349,6 +349,15 @@ def candidate_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.join(la, "a").join(lb, "b").select("a", "b", kind.alias("labels"))
 
 
+@query("pair_sweep", f"""SELECT t.threshold, count(p.s) AS n FROM (VALUES (CAST(0.2 AS DOUBLE)), (0.3), (0.4)) t(threshold) LEFT JOIN (SELECT {_DOT} AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id) p ON p.s >= t.threshold GROUP BY 1""")
+def pair_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    """EVL-02: one search at the least threshold serves all."""
+    pairs = similar_pairs(table(spark, sf, "embeddings"), "vec_id", "embedding", 0.2)
+    t = spark.createDataFrame([(0.2,), (0.3,), (0.4,)], "threshold double")
+    found = pairs.join(F.broadcast(t), F.col("similarity") >= F.col("threshold")).groupBy("threshold").agg(F.count("*").alias("n"))
+    return t.join(found, "threshold", "left").select("threshold", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 @query("labelled_pairs", f"SELECT a.label, count(*) AS n FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE {_DOT} >= 0.5 GROUP BY 1")
 def labelled_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """JN-12, EVL-02: equal labels, found among the pairs above the threshold."""

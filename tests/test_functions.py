@@ -89,6 +89,20 @@ def test_greedy_walk(spark):
     df = spark.createDataFrame(rows, "g string, i long, s double, t string")
     got = folds.greedy_distinct(df, "g", [(-F.col("s")).alias("s"), F.col("i").alias("k")], "i", S.word_set("t"), 0.4, 3).orderBy("place").collect()
     assert [r.id for r in got] == [1, 3, 5]
+    # a small first share must give what a plain walk of the whole group gives
+    rows = [(k % 3 or None, k, f"w{k % 7} w{k % 11} w{k % 13}") for k in range(300)]
+    want = []
+    for g in (None, 1, 2):
+        kept = []
+        for _, i, t in (r for r in rows if r[0] == g):
+            w = set(t.split())
+            if len(kept) < 12 and all(len(w & k) / len(w | k) <= 0.2 for k in kept):
+                kept.append(w)
+                want.append((g, i, len(kept)))
+    many = spark.createDataFrame(rows, "g long, i long, t string")
+    for first in (2, 1000):
+        got = folds.greedy_distinct(many, "g", [F.col("i").alias("k")], "i", S.word_set("t"), 0.2, 12, first).collect()
+        assert sorted(map(str, want)) == sorted(str((r.g, r.id, r.place)) for r in got)
 
 
 def test_bands_and_ties(spark):
