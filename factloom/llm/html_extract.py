@@ -33,7 +33,7 @@ from factloom.llm.durable import durable
 DELETED_BOUND = 100_000
 
 _TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*|[^>]*)>""", re.S
+    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^<>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^<>"']|"[^"]*"|'[^']*')*+|[^<>]*+)>""", re.S
 )
 _RAW = {n: re.compile(rf"</{n}\b[^>]*>", re.I) for n in ("script", "style", "noscript", "template", "textarea", "iframe", "title", "svg", "math", "select", "object", "canvas")}
 _OUT = {"head", "nav", "footer", "aside", "form", "button", "menu", "dialog", "fieldset", "audio", "video"}

@@ -31,6 +31,8 @@ def test_blocks():
     for odd in (None, "", "plain", "<", "<p", "<p title='>'>x", "<!--", "a & b &bogus; &#65;"):
         html_extract.blocks(odd)
     assert html_extract.blocks("<p title='>'>x &#65;")[1] == ["x A"]
+    for unclosed in ("<a " * 100_000, "<!" * 100_000, "<p><b>" * 50_000, "<div>" * 20_000):  # none takes quadratic time
+        html_extract.blocks(unclosed)
 
 
 def test_longest_common_subsequence():
