@@ -79,6 +79,37 @@ def test_language_model_against_plain_counts():
     assert np.allclose(got, want, atol=1e-4)
 
 
+def test_language_model_keeps_every_ngram_apart(spark):
+    """Two 5-grams that share a slot of 2**20 keep their own counts, whichever way the model travels."""
+    from factloom.llm._features import bucket
+
+    rng = np.random.default_rng(5)
+    some = rng.integers(97, 123, (20_000, 5)).astype(np.uint64)
+    packed = sum(some[:, k] << np.uint64(8 * (4 - k)) for k in range(5))
+    slots, seen = bucket(packed, 20, 5 * 7_000_003), {}
+    a, b = next((seen[s], k) for k, s in enumerate(slots.tolist()) if seen.setdefault(s, k) != k and packed[seen[s]] != packed[k])
+    texts = [bytes(some[a].astype(np.uint8)).decode() * 3, bytes(some[b].astype(np.uint8)).decode() * 3, "".join(map(chr, rng.integers(33, 127, 40_000)))]
+    rows = [t.encode() for t in texts]
+    counts = [[Counter(), Counter()] for _ in range(6)]
+    each = [[(b"\0" * 4 + r)[i : i + 5] for i in range(len(r))] for r in rows]
+    for k, grams in enumerate(each):
+        for side in (0, 1) if k == 0 else (0,):
+            for j, n in enumerate(lm_scoring.ORDERS):
+                counts[2 * j][side].update(g[5 - n :] for g in grams)
+                counts[2 * j + 1][side].update(g[5 - n : 4] for g in grams)
+    p = lambda g, s: 1e-6 + sum(lm_scoring.MIX[j] * counts[2 * j][s][g[5 - n :]] / max(1, counts[2 * j + 1][s][g[5 - n : 4]]) for j, n in enumerate(lm_scoring.ORDERS))
+    want = {k: sum(np.log(p(g, 1)) - np.log(p(g, 0)) for g in grams) / len(grams) for k, grams in enumerate(each)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    fitted = lm_scoring.fit(docs, docs.where("doc_id = 0"))
+    for how in ({}, {"bound": 10, "group_bytes": 20_000}):
+        got = {r.doc_id: r.score for r in lm_scoring.score(docs, fitted, **how).collect()}
+        assert got == pytest.approx(want, abs=1e-6)
+    assert fitted.count() == len(counts[4][0])
+    new = spark.createDataFrame([(7, "zzzzz unseen"), (8, None)], "doc_id long, text string")
+    both = [sorted(map(tuple, lm_scoring.score(new, fitted, **how).collect())) for how in ({}, {"bound": 10, "group_bytes": 20_000})]
+    assert both[0][0][2] == pytest.approx(both[1][0][2]) and both[0][1] == both[1][1] == (8, 0, 0.0)
+
+
 def test_dual_coordinate_descent_separates():
     r = np.random.default_rng(0)
     rows = [(np.unique(np.concatenate([r.integers(0, 500, 30), [1000 + y]])).astype(np.int64), y) for y in r.integers(0, 2, 200).tolist()]
