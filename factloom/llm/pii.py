@@ -8,8 +8,9 @@ decoded in overlapping windows; the spans of all windows are reconciled over
 the whole text by weighted interval scheduling, a span counting more the more
 windows agree on it, and never displacing a base span.
 
-A span must hold a digit, an at-sign or a spelled-out "at" or "dot" to be valid
-(``_ANCHOR``), so windows without one are not decoded: they could add nothing.
+A span must hold a digit, an at-sign, a bracketed "at" or "dot", the word "dot",
+or the word "at" before a host with a dot to be valid (``_ANCHOR``), so windows
+without one are not decoded: they could add nothing.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_ANCHOR = re.compile(r"[0-9@]|(?i:[\[({<]\s*(?:at|dot)\s*[\])}>]|(?<![^\W_])dot(?![^\W_]))")
+_ANCHOR = re.compile(r"[0-9@]|(?i:[\[({<]\s*(?:at|dot)\s*[\])}>]|(?<![^\W_])dot(?![^\W_])|(?<=\s)at\s+[a-z0-9-]{1,63}(?:\.|\s+\.\s+)[a-z0-9-])")
 
 
 def luhn(digits: str) -> bool:

@@ -154,6 +154,18 @@ def test_pii_windows_meet(net):
         assert whole.count(made) >= 20, (made, whole)
 
 
+
+def test_addresses_with_a_plain_at_are_found(net):
+    """No digit, sign or bracket; most are found, and prose with "at" is not."""
+    model, texts = net
+    for made in ("jane at example.com", "jane at host . com", "jane at mail.example.org"):
+        assert pii.valid("email", made)
+        rows = [f"{t[:90]} {made} {t[:60]}" for t in texts]
+        whole = [row[s:e] for row, (_, every) in zip(rows, pii.find(rows, model)) for s, e, _ in every]
+        assert whole.count(made) > len(texts) / 2, (made, whole)
+    assert not pii.valid("email", "look at home") and not pii.valid("email", "at example.com")
+
+
 def test_reconcile_is_the_heaviest():
     base = [(10, 20, "email")]
     got = pii.reconcile(base, {(15, 25, "card"): 9, (20, 30, "card"): 1, (25, 40, "phone"): 1, (30, 35, "ssn"): 1})
