@@ -13,13 +13,13 @@ from factloom.sources.domain import active, table
 @query("audn_sequential")
 def audn_sequential(spark: SparkSession, sf: str) -> DataFrame:
     """DUP-02 with the stub models."""
-    return L.audn(active(spark, sf).select("conv_id", "fact_id", F.substring("fact_text", 1, 300).alias("t")), "conv_id", "fact_id", "t")
+    return L.audn(active(spark, sf).select("conv_id", "fact_id", F.col("fact_text").alias("t")), "conv_id", "fact_id", "t")
 
 
 @query("audn_batch")
 def audn_batch(spark: SparkSession, sf: str) -> DataFrame:
     """DUP-03: the other variant, by name."""
-    return L.audn(active(spark, sf).select("conv_id", "fact_id", F.substring("fact_text", 1, 300).alias("t")), "conv_id", "fact_id", "t", mode="batch")
+    return L.audn(active(spark, sf).select("conv_id", "fact_id", F.col("fact_text").alias("t")), "conv_id", "fact_id", "t", mode="batch")
 
 
 @query("embedded_messages")

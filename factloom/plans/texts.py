@@ -134,7 +134,7 @@ def token_budget(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", t.alias("tokens"), F.least(t, F.lit(250)).alias("given"), F.greatest(F.lit(0), t - 250).alias("overflow"))
 
 
-_NOISE = "concat(substr(text, 1, 80), ' ', repeat('ACGT', doc_id % 20), ' ', repeat('0a', doc_id % 30), ' ', repeat('12,', doc_id % 50))"
+_NOISE = "concat(text, ' ', repeat('ACGT', doc_id % 20), ' ', repeat('0a', doc_id % 30), ' ', repeat('12,', doc_id % 50))"
 
 
 @query("stripped_noise")
@@ -272,8 +272,8 @@ def paragraph_chunks(spark: SparkSession, sf: str) -> DataFrame:
 @query("greedy_distinct_facts")
 def greedy_distinct_facts(spark: SparkSession, sf: str) -> DataFrame:
     """DUP-04: Jaccard suppression per category."""
-    a = active(spark, sf).select("category", "fact_id", "confidence", F.substring("fact_text", 1, 400).alias("head"))
-    return folds.greedy_distinct(a, "category", [(-F.col("confidence")).alias("c"), F.col("fact_id").alias("i")], "fact_id", S.word_set("head"), 0.4, 25)
+    a = active(spark, sf).select("category", "fact_id", "confidence", "fact_text")
+    return folds.greedy_distinct(a, "category", [(-F.col("confidence")).alias("c"), F.col("fact_id").alias("i")], "fact_id", S.word_set("fact_text"), 0.4, 25)
 
 
 @query("topic_cap")
