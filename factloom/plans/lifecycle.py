@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.operators import lifecycle as L
 from factloom.plans.registry import query
 from factloom.sources.domain import active, table
 
+#: Predicates whose facts may contradict each other.
+TENSIONS = [("believes", "avoids"), ("values", "dislikes"), ("practices", "avoids"), ("enjoys", "dislikes"), ("aspires_to", "fears"), ("maintains", "struggles_with"), ("prefers", "avoids"), ("loves", "hates")]
+#: Facts, on average, among which a control's other side is drawn.
+CONTROL_GROUP = 1000
+
 
 @query("audn_sequential")
 def audn_sequential(spark: SparkSession, sf: str) -> DataFrame:
@@ -56,12 +61,27 @@ def merge_tree(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("hard_pairs")
 def hard_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """JN-21: pairs of one predicate, and as many random controls by hash."""
-    a = active(spark, sf).select("fact_id", "predicate")
-    x, y = a.toDF("a", "predicate"), a.toDF("b", "predicate")
-    same = x.join(y, "predicate").where("a < b AND (a + b) % 50 = 0").select("a", "b", F.lit("same predicate").alias("kind"))
-    control = a.select(F.col("fact_id").alias("a"), F.pmod(F.xxhash64("fact_id", F.lit(3)), F.lit(1000)).alias("b"), F.lit("control").alias("kind"))
-    return same.unionByName(control)
+    """JN-21: near pairs of each predicate, a pair of each two predicates in tension, and a random control for each fact.
+
+    As in the reference, the first five facts of a predicate (by time) meet the
+    next two of it.  Choices are by seeded hash; a control is the next fact in
+    one of many groups drawn by hash from the whole table.
+    """
+    a = active(spark, sf).where("fact_text IS NOT NULL").select("fact_id", "predicate", "created_at")
+    place = F.row_number().over(Window.partitionBy("predicate").orderBy("created_at", "fact_id"))
+    first = a.withColumn("i", place).where("i <= 7")
+    x, y = first.select("predicate", F.col("fact_id").alias("a"), "i"), first.select("predicate", F.col("fact_id").alias("b"), F.col("i").alias("j"))
+    same = x.join(y, "predicate").where("i <= 5 AND j > i AND j <= i + 2").select("a", "b", F.lit("same predicate").alias("kind"))
+    sides = spark.createDataFrame([(k, side, p) for k, pair in enumerate(TENSIONS) for side, p in enumerate(pair)], "pair long, side int, predicate string")
+    chance = F.struct(F.xxhash64("fact_id", "pair", "side", F.lit(5)), "fact_id")
+    chosen = [F.min(F.when(F.col("side") == side, chance))["fact_id"].alias(name) for side, name in enumerate("ab")]
+    tension = a.join(F.broadcast(sides), "predicate").groupBy("pair").agg(*chosen).where("a IS NOT NULL AND b IS NOT NULL").select("a", "b", F.lit("tension").alias("kind"))
+    groups = a.count() // CONTROL_GROUP + 1
+    drawn = a.select(F.col("fact_id").alias("a"), F.xxhash64("fact_id", F.lit(3)).alias("h")).withColumn("g", F.pmod("h", F.lit(groups)))
+    by_chance = Window.partitionBy("g").orderBy(F.xxhash64("h", F.lit(11)), "a")
+    nxt = F.coalesce(F.lead("a").over(by_chance), F.first("a").over(by_chance))
+    control = drawn.select("a", nxt.alias("b"), F.lit("control").alias("kind")).where("a <> b")
+    return same.unionByName(tension).unionByName(control)
 
 
 @query("rendered_package")

@@ -38,3 +38,23 @@ def test_noise_is_stripped_anywhere(spark, made):
     sf = made([(0, f"{HEAD} {'ACGT' * 20} end", 1)])
     text = registry.QUERIES["stripped_noise"](spark, sf).first().text
     assert text.split() == [*HEAD.split(), "[sequence]", "end"]
+
+
+def test_hard_pairs_of_the_whole_table(spark, made):
+    from collections import Counter
+
+    from factloom.plans.lifecycle import TENSIONS
+    from factloom.sources.domain import active
+
+    sf = made([(5000 + i, f"fact {i}", 1) for i in range(1500)])
+    of = {r.fact_id: (r.predicate, r.created_at) for r in active(spark, sf).collect()}
+    by = {}
+    for i in sorted(of, key=lambda i: (of[i][1], i)):
+        by.setdefault(of[i][0], []).append(i)
+    rows = registry.QUERIES["hard_pairs"](spark, sf).collect()
+    got = {k: [(r.a, r.b) for r in rows if r.kind == k] for k in ("same predicate", "tension", "control")}
+    assert sorted(got["same predicate"]) == sorted((g[i], g[j]) for g in by.values() for i in range(min(len(g) - 1, 5)) for j in range(i + 1, min(len(g), i + 3)))
+    assert Counter((of[a][0], of[b][0]) for a, b in got["tension"]) == Counter(p for p in TENSIONS if p[0] in by and p[1] in by)
+    assert sorted(a for a, _ in got["control"]) == sorted(of) == sorted(b for _, b in got["control"])
+    assert all(a != b for a, b in got["control"])
+    assert sorted(rows) == sorted(registry.QUERIES["hard_pairs"](spark, sf).collect())
