@@ -182,6 +182,8 @@ def suspicious(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     hit[w[before & after]] = True
     w = w[w + 5 < n]
     hit[w[(data[w] == data[w + 2]) & (data[w + 1] == data[w + 3]) & (data[w] == data[w + 4]) & (data[w + 1] == data[w + 5])]] = True
+    # the euro sign, the one leet symbol of three bytes, wherever it stands
+    hit[:-2] |= (data[:-2] == 0xE2) & (data[1:-1] == 0x82) & (data[2:] == 0xAC)
     edge = np.concatenate([[0], np.cumsum(hit)])
     return edge[offs[1:]] > edge[offs[:-1]]
 

@@ -142,6 +142,12 @@ def test_rows_with_one_path_are_not_decoded(costs):
             assert toxicity.suspicious(*text_buffers(pa.array([text])))[0], text
 
 
+def test_rows_with_a_euro_sign_are_decoded(costs):
+    r = toxicity.Restorer(costs)
+    for text in ("you l€per", "€vil man", "a h € y b"):
+        assert r.restore(text).lower() != text and toxicity.suspicious(*text_buffers(pa.array(["", text, "a"]))).tolist() == [False, True, False], text
+
+
 def test_lower_like_python():
     text = "ABC ÉÀÖÞ ×÷ ß Ÿ z"
     got = toxicity.lower(np.frombuffer(text.encode(), np.uint8)).tobytes().decode()
