@@ -338,6 +338,22 @@ def filtered_vector_top_k(spark: SparkSession, sf: str) -> DataFrame:
     return knn(claims, e.where("vec_id >= 20 AND label IN (1, 2, 3)"), "claim_id", "vec_id", "embedding", 5).select("claim_id", "vec_id", "rank")
 
 
+@query("vector_top_k_all")
+def vector_top_k_all(spark: SparkSession, sf: str) -> DataFrame:
+    """JN-13, VEC-04, PRV-05: the ten nearest of all rows for every row whose id 50 divides."""
+    e = table(spark, sf, "embeddings")
+    claims = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("claim_id"), "embedding")
+    return knn(claims, e, "claim_id", "vec_id", "embedding", 10).select("claim_id", "vec_id", "rank")
+
+
+@query("filtered_vector_top_k_all")
+def filtered_vector_top_k_all(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC-21, VEC-06: the same queries, five nearest, the predicate before the search."""
+    e = table(spark, sf, "embeddings")
+    claims = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("claim_id"), "embedding")
+    return knn(claims, e.where("label IN (1, 2, 3)"), "claim_id", "vec_id", "embedding", 5).select("claim_id", "vec_id", "rank")
+
+
 @query("candidate_pairs", f"""SELECT a.vec_id AS a, b.vec_id AS b, CASE WHEN a.label = b.label THEN CAST(a.label AS VARCHAR) ELSE least(a.label, b.label) || '/' || greatest(a.label, b.label) END AS labels
     FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {_DOT} >= 0.5""")
 def candidate_pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -405,6 +421,16 @@ def routing_of_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return near.select("vec_id", F.when(s > 0.85, "decide").when(s >= 0.3, "add .6").otherwise("add .8").alias("route"))
 
 
+@query("routing_of_candidates_all")
+def routing_of_candidates_all(spark: SparkSession, sf: str) -> DataFrame:
+    """DUP-01: the same of every row whose id 50 divides, by its nearest of all other rows."""
+    e = table(spark, sf, "embeddings")
+    near = knn(e.where("vec_id % 50 = 0"), e.select(F.col("vec_id").alias("old_id"), "embedding"), "vec_id", "old_id", "embedding", 2)
+    s = F.col("similarity")
+    best = near.where("vec_id <> old_id").groupBy("vec_id").agg(F.max("similarity").alias("similarity"))
+    return best.select("vec_id", F.when(s > 0.85, "decide").when(s >= 0.3, "add .6").otherwise("add .8").alias("route"))
+
+
 @query("distance_conversion", "SELECT vec_id, vec_id % 21 / 10.0 AS d, round(greatest(0.0, least(1.0, 1 - vec_id % 21 / 10.0)), 4) AS cosine, round(CASE WHEN vec_id % 21 = 0 THEN 1.0 ELSE greatest(0.0, least(1.0, 1 - (vec_id % 21 / 10.0) * (vec_id % 21 / 10.0) / 2)) END, 4) AS l2 FROM embeddings")
 def distance_conversion(spark: SparkSession, sf: str) -> DataFrame:
     """MTH-08, MTH-09."""

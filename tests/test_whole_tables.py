@@ -58,3 +58,31 @@ def test_hard_pairs_of_the_whole_table(spark, made):
     assert sorted(a for a, _ in got["control"]) == sorted(of) == sorted(b for _, b in got["control"])
     assert all(a != b for a, b in got["control"])
     assert sorted(rows) == sorted(registry.QUERIES["hard_pairs"](spark, sf).collect())
+
+
+@pytest.fixture(scope="module")
+def vectors(spark, tmp_path_factory):
+    """A folder with 420 embeddings, some of them equal, and the matrix of their cosines."""
+    import numpy as np
+
+    x = np.random.default_rng(2).normal(size=(420, 8))
+    x[300:310] = x[0:10]
+    path = str(tmp_path_factory.mktemp("vectors"))
+    spark.createDataFrame([(i, i % 5, v.tolist()) for i, v in enumerate(x)], "vec_id long, label int, embedding array<double>").write.parquet(f"{path}/embeddings.parquet")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return path, x @ x.T
+
+
+@pytest.mark.parametrize("name, k, labels", [("vector_top_k_all", 10, range(5)), ("filtered_vector_top_k_all", 5, (1, 2, 3))])
+def test_every_fiftieth_row_is_searched_in_all(spark, vectors, name, k, labels):
+    path, s = vectors
+    want = {(q, i, r + 1) for q in range(0, 420, 50) for r, i in enumerate(sorted((i for i in range(420) if i % 5 in labels), key=lambda i: (-round(s[q, i], 12), i))[:k])}
+    got = {(r.claim_id, r.vec_id, r.rank) for r in registry.QUERIES[name](spark, path).collect()}
+    assert {g[0] for g in got} == set(range(0, 420, 50)) and len(got & want) >= len(want) - 2  # equal vectors may change places
+
+
+def test_routes_by_all_other_rows(spark, vectors):
+    path, s = vectors
+    best = {q: max(s[q, i] for i in range(420) if i != q) for q in range(0, 420, 50)}
+    got = {r.vec_id: r.route for r in registry.QUERIES["routing_of_candidates_all"](spark, path).collect()}
+    assert got == {q: "decide" if b > 0.85 else "add .6" if b >= 0.3 else "add .8" for q, b in best.items()}
