@@ -67,6 +67,80 @@ def knn(queries: DataFrame, items: DataFrame, q_id: str, i_id: str, vector: str,
     return ranked.select(F.col("q").alias(q_id), F.col("i").alias("item_" + i_id if i_id == q_id else i_id), F.col("s").alias("similarity"), "rank")
 
 
+def _meetings(df: DataFrame, i_id: str, vector: str, parts: int) -> DataFrame:
+    """(i, v, block, meet): every two of ``parts`` blocks, and each with itself, as one group ``meet``."""
+    packed = df.select(F.col(i_id).cast("long").alias("i"), F.col(vector).alias("v")).withColumn("block", F.pmod(F.xxhash64("i"), F.lit(parts)).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda o: F.least("block", o) * parts + F.greatest("block", o))
+    return packed.withColumn("meet", F.explode(meets))
+
+
+def pair_statistics(df: DataFrame, i_id: str, vector: str, thresholds: tuple[float, ...], parts: int | None = None, held: int = 1 << 20) -> dict:
+    """n, mean, median, sd, least, most and the number at or above each threshold, of all pairs.
+
+    Each group of blocks sends partial sums, extremes, counts and a histogram.
+    The middle values' bins are split again, by a pass each, until at most
+    ``held`` values are left in them, which are gathered: the median is exact.
+    """
+    if parts is None:
+        parts = max(2, df.count() // BLOCK_ROWS + 1)
+    spread = _meetings(df, i_id, vector, parts)
+
+    def values(t: pa.Table) -> Iterator[np.ndarray]:
+        block, meet = (t.column(c).to_numpy() for c in ("block", "meet"))
+        x = matrix(t.column("v").combine_chunks())
+        low, high = divmod(int(meet[0]), parts)
+        a, b = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        for at in range(0, len(a), 512):
+            s = x[a[at : at + 512]] @ x[b].T
+            yield s[np.arange(at, at + len(s))[:, None] < np.arange(len(b))] if low == high else s.ravel()
+
+    def binned(s: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """Counts below, in each bin and from the last edge on."""
+        return np.bincount(np.searchsorted(edges, s, "right"), minlength=len(edges) + 1)
+
+    def summed(edges: np.ndarray):
+        def run(t: pa.Table) -> pa.Table:
+            n, total, squares, least, most = 0, 0.0, 0.0, np.inf, -np.inf
+            over, bins = np.zeros(len(thresholds), np.int64), np.zeros(len(edges) + 1, np.int64)
+            for s in values(t):
+                if len(s):
+                    n, total, squares = n + len(s), total + s.sum(), squares + (s * s).sum()
+                    least, most = min(least, s.min()), max(most, s.max())
+                    over += [np.count_nonzero(s >= h) for h in thresholds]
+                    bins += binned(s, edges)
+            return pa.table({"n": pa.array([n]), "total": pa.array([total]), "squares": pa.array([squares]), "least": pa.array([float(least)]), "most": pa.array([float(most)]), "over": pa.array([over.tolist()]), "bins": pa.array([bins.tolist()])})
+
+        each = spread.groupBy("meet").applyInArrow(run, "n long, total double, squares double, least double, most double, over array<long>, bins array<long>")
+        one = lambda c, size: [F.sum(F.col(c)[k]) for k in range(size)]
+        row = each.agg(F.sum("n"), F.sum("total"), F.sum("squares"), F.min("least"), F.max("most"), F.array(*one("over", len(thresholds))), F.array(*one("bins", len(edges) + 1))).first()
+        return row
+
+    edges = np.linspace(-1.001, 1.001, 257)
+    n, total, squares, least, most, over, bins = summed(edges)
+    if not n:
+        return {"n": 0, "mean": None, "median": None, "sd": None, "least": None, "most": None, "over": [0] * len(thresholds)}
+    ranks = ((n - 1) // 2, n // 2)
+    while True:
+        ends = np.cumsum(bins)
+        lo, hi = (int(np.searchsorted(ends, r, "right")) for r in ranks)
+        low, high, below = edges[lo - 1], edges[hi], int(ends[lo - 1])
+        inner = np.linspace(low, high, 257)
+        if int(ends[hi]) - below <= held or len(np.unique(inner)) < len(inner):
+            break
+        edges = inner
+        bins = summed(edges)[6]
+
+    def middle(t: pa.Table) -> pa.Table:
+        s, k = np.unique(np.concatenate([np.zeros(0), *(s[(s >= low) & (s < high)] for s in values(t))]), return_counts=True)
+        return pa.table({"s": pa.array(s), "k": pa.array(k.astype(np.int64))})
+
+    t = spread.groupBy("meet").applyInArrow(middle, "s double, k long").groupBy("s").agg(F.sum("k").alias("k")).orderBy("s").toArrow()
+    upto = below + np.cumsum(t.column("k").to_numpy())
+    median = float(np.mean([t.column("s").to_numpy()[np.searchsorted(upto, r, "right")] for r in ranks]))
+    mean = total / n
+    return {"n": n, "mean": mean, "median": median, "sd": max(0.0, squares / n - mean * mean) ** 0.5, "least": least, "most": most, "over": list(over)}
+
+
 def similar_pairs(df: DataFrame, i_id: str, vector: str, threshold: float, parts: int | None = None) -> DataFrame:
     """(a, b, similarity), a < b, of all pairs at or above the threshold.
 

@@ -9,6 +9,7 @@ from factloom.functions import scalars as S
 from factloom.operators import joins as J
 from factloom.operators import relational as R
 from factloom.operators.knn import knn, similar_pairs
+from factloom.operators.knn import pair_statistics as all_pairs
 from factloom.plans.registry import query
 from factloom.sources.domain import ACTIVE, FACTS, PROVENANCE, active, facts, messages, provenance, table
 
@@ -404,6 +405,15 @@ def pair_statistics(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("pair_statistics_all")
+def pair_statistics_all(spark: SparkSession, sf: str) -> DataFrame:
+    """AGG-26, AGG-37: statistics of similarity of all pairs, whatever their labels."""
+    s = all_pairs(table(spark, sf, "embeddings"), "vec_id", "embedding", (0.8, 0.85, 0.9, 0.95))
+    numbers = [s[k] for k in ("mean", "median", "sd", "least", "most")]
+    row = (s["n"], *numbers, *s["over"], None if s["mean"] is None else 1 - s["mean"])
+    return spark.createDataFrame([row], "n long, mean double, median double, sd double, least double, most double, over_80 long, over_85 long, over_90 long, over_95 long, divergence double")
+
+
 @query("probe_delta", f"SELECT a.vec_id, round(1 - {_DOT}, 4) AS delta FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def probe_delta(spark: SparkSession, sf: str) -> DataFrame:
     """VEC-02, VEC-07."""

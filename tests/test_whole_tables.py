@@ -86,3 +86,17 @@ def test_routes_by_all_other_rows(spark, vectors):
     best = {q: max(s[q, i] for i in range(420) if i != q) for q in range(0, 420, 50)}
     got = {r.vec_id: r.route for r in registry.QUERIES["routing_of_candidates_all"](spark, path).collect()}
     assert got == {q: "decide" if b > 0.85 else "add .6" if b >= 0.3 else "add .8" for q, b in best.items()}
+
+
+def test_statistics_of_all_pairs(spark, vectors):
+    import numpy as np
+
+    from factloom.operators.knn import pair_statistics
+
+    path, s = vectors
+    v = s[np.triu_indices(420, 1)]
+    r = registry.QUERIES["pair_statistics_all"](spark, path).first()
+    want = [len(v), v.mean(), np.median(v), v.std(), v.min(), v.max(), *((v >= t).sum() for t in (0.8, 0.85, 0.9, 0.95)), 1 - v.mean()]
+    assert list(r) == pytest.approx(want, abs=1e-9)
+    split = pair_statistics(spark.read.parquet(f"{path}/embeddings.parquet"), "vec_id", "embedding", (0.8,), parts=3, held=5)
+    assert split["median"] == pytest.approx(np.median(v), abs=1e-12) and split["n"] == len(v)
