@@ -250,6 +250,12 @@ def dose_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("source", F.round(F.col("t") + F.col("o"), 6).alias("total"), F.round("t", 6).alias("target"), F.round(F.when(F.col("o") == 0, float("inf")).otherwise(F.try_divide("t", "o")), 6).alias("specificity"))
 
 
+@query("mcnemar_all")
+def mcnemar_all(spark: SparkSession, sf: str) -> DataFrame:
+    """AGG-31 over all documents, with the exact p."""
+    return E.discordance(table(spark, sf, "documents"), F.col("doc_id") % 3 == 0, F.col("doc_id") % 5 == 0)
+
+
 @query(
     "temporal_drift",
     f"""WITH {ACTIVE}, s AS (SELECT predicate || ':' || lower(category) AS sig, bool_or(created_at < 1714435200) AS early, bool_or(created_at >= 1725000000) AS late FROM active GROUP BY 1)

@@ -100,3 +100,9 @@ def test_statistics_of_all_pairs(spark, vectors):
     assert list(r) == pytest.approx(want, abs=1e-9)
     split = pair_statistics(spark.read.parquet(f"{path}/embeddings.parquet"), "vec_id", "embedding", (0.8,), parts=3, held=5)
     assert split["median"] == pytest.approx(np.median(v), abs=1e-12) and split["n"] == len(v)
+
+
+def test_mcnemar_counts_every_document(spark, made):
+    r = registry.QUERIES["mcnemar_all"](spark, made([(i, "x", 1) for i in range(500)])).first()
+    want = [sum((i % 3 == 0, i % 5 == 0) == o for i in range(500)) for o in ((True, True), (True, False), (False, True), (False, False))]
+    assert [r.both, r.only_a, r.only_b, r.neither] == want and 0 <= r.p <= 1
