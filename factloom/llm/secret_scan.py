@@ -1,18 +1,21 @@
 """Secret scan: keyword prefilter, anchored expressions near hits, checksums.
 
 An Aho-Corasick automaton finds the keywords of a text in one pass; a text
-without any is skipped, and around a hit an expression anchored at the keyword
-is tried.  Kinds that embed a checksum are kept only if it is right:
+without any is skipped, and at a hit an expression anchored there is tried.
+Kinds that embed a checksum are kept only if it is right:
 
 * ``github`` and ``npm``: the last six characters are the CRC-32 of the 30
   before them, in base 62;
-* ``wif``: a base58 private key ending in four bytes of a double SHA-256;
-* ``jwt`` (header and payload must decode to JSON objects);
+* ``wif``: a base58 private key ending in four bytes of a double SHA-256 (its
+  keywords are the openings that such keys can have);
+* ``jwt`` (header and payload must decode to JSON objects; it begins where a run
+  of its letters does);
 * ``private_key`` (a PEM block; its body must be base64) and ``slack``,
   ``stripe``, ``google`` by shape, which embed none.
 
 Base kinds ``assign``, ``access`` and ``hex`` are found everywhere and stay.
-Null texts count as empty.
+Null texts count as empty; JSON nested too deeply to be read is none; a text of
+any length takes time in proportion.
 """
 
 from __future__ import annotations
@@ -68,7 +71,7 @@ def _wif_ok(m: re.Match) -> bool:
 def _json_part(part: str) -> bool:
     try:
         return isinstance(json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4))), dict)
-    except ValueError:
+    except (ValueError, RecursionError):
         return False
 
 
@@ -87,18 +90,19 @@ def _any(_: re.Match) -> bool:
     return True
 
 
+_WIF = re.compile(r"(?<![1-9A-HJ-NP-Za-km-z])[5KL][1-9A-HJ-NP-Za-km-z]{50,51}(?![1-9A-HJ-NP-Za-km-z])")
 _CRC = re.compile(r"(?:gh[pousr]|npm)_([A-Za-z0-9]{36})(?![A-Za-z0-9])")
 #: keyword -> (kind, expression anchored at the keyword's start, validation)
 RULES = {
     **{f"gh{c}_": ("github", _CRC, _crc_ok) for c in "pousr"},
     "npm_": ("npm", _CRC, _crc_ok),
-    "eyJ": ("jwt", re.compile(r"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+"), _jwt_ok),
+    "eyJ": ("jwt", re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+"), _jwt_ok),
     "-----BEGIN ": ("private_key", re.compile(r"-----BEGIN ((?:[A-Z]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----"), _pem_ok),
     **{f"xox{c}-": ("slack", re.compile(r"xox[abprs]-[0-9A-Za-z-]{20,}"), _any) for c in "abprs"},
     **{f"{k}_live_": ("stripe", re.compile(r"[sr]k_live_[0-9A-Za-z]{16,}"), _any) for k in ("sk", "rk")},
+    **{k: ("wif", _WIF, _wif_ok) for k in ("5H", "5J", "5K", "Kw", "Kx", "Ky", "Kz", "L1", "L2", "L3", "L4", "L5")},
     "AIza": ("google", re.compile(r"AIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z_-])"), _any),
 }
-_WIF = re.compile(r"(?<![1-9A-HJ-NP-Za-km-z])[5KL][1-9A-HJ-NP-Za-km-z]{50,51}(?![1-9A-HJ-NP-Za-km-z])")
 _BASE_WORDS = ["password", "passwd", "secret", "token", "api_key", "apikey"]
 
 
@@ -118,16 +122,24 @@ def base_spans(text: str) -> list[Span]:
     found = [(m.start(), m.end(), "hex") for m in _HEX.finditer(text)]
     if "AKIA" in text:
         found += [(m.start(), m.end(), "access") for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
-    if _near_assignment(text):
-        found += [(m.start(), m.end(), "assign") for m in _ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 6]
+    return found + _assignments(text)
+
+
+def _assignments(text: str) -> list[Span]:
+    """Assignments, tried only where their keyword stands."""
+    if ":" not in text and "=" not in text:
+        return []
+    # lower-casing ASCII letters alone keeps every position
+    low = text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+    found, free = [], 0
+    for at in sorted(end - len(word) + 1 for end, word in _automata()[1].iter(low)):
+        if at >= free and (m := _ASSIGN.match(text, at)):
+            free = m.end()
+            if m.end(1) - m.start(1) >= 6:
+                found.append((m.start(), m.end(), "assign"))
     return found
 
 
-def _near_assignment(text: str) -> bool:
-    """Whether an assignment's keyword stands before a sign; its match needs both."""
-    return (":" in text or "=" in text) and next(_automata()[1].iter(text.lower()), None) is not None
-
-
 def _automata() -> list[ahocorasick.Automaton]:
     if not _AUTOMATA:
         _AUTOMATA.extend([_automaton(list(RULES)), _automaton(_BASE_WORDS)])
@@ -143,7 +155,6 @@ def keyword_spans(text: str) -> list[Span]:
         if at >= free.get(kind, 0) and (m := pattern.match(text, at)) and valid(m):
             found.append((m.start(), m.end(), kind))
             free[kind] = m.end()
-    found += [(m.start(), m.end(), "wif") for m in _WIF.finditer(text) if _wif_ok(m)]
     return found
 
 

@@ -69,6 +69,28 @@ def test_checksums_decide():
     assert secret_scan.find("eyJhbGciOiJub25lIn0.eyJhIjoxfQ.x")[1] == [(0, 32, "jwt")]
 
 
+DEEP = secret_scan.base64.urlsafe_b64encode(b'{"a":' + b"[" * 100_000).decode().rstrip("=")
+
+
+def hostile_secrets():
+    """Texts of about 1 MB that once crashed or took quadratic time."""
+    return [f"{DEEP}.{DEEP}.x" * 3, "eyJ" * 350_000, "eyJ" * 350_000 + ".eyJhIjoxfQ.x", "-----BEGIN PRIVATE KEY-----" * 40_000, "xoxb-" * 200_000, "token" + " " * 1_000_000, "token=" * 170_000, "5K" * 500_000, "L1" * 500_000, "AKIA" * 250_000, "sk_live_" * 125_000, "-----BEGIN " + "A " * 500_000]
+
+
+def test_hostile_secrets_take_linear_time():
+    import time
+
+    for text in hostile_secrets():
+        began = time.time()
+        secret_scan.find(text)
+        assert time.time() - began < 10, text[:30]
+
+
+def test_hostile_secrets_in_the_query(spark):
+    docs = spark.createDataFrame(list(enumerate(hostile_secrets())), "doc_id long, text string")
+    assert secret_scan.secret_digests(docs).count() == len(hostile_secrets())
+
+
 def plain_rules(text):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
     grams = Counter(zip(words, words[1:], words[2:]))
