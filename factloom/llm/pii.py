@@ -4,9 +4,13 @@ The network is trained from labelled spans: texts of a bounded sample of
 documents (``SAMPLE_ROWS``, cut to windows), with the base kinds labelled where
 they stand and other written forms (spelled-out or spaced addresses, grouped
 numbers, national ids, IBANs, IPv6) put in at random, seeded places.  Texts are
-decoded in overlapping windows; the spans of all windows are reconciled over
-the whole text by weighted interval scheduling, a span counting more the more
-windows agree on it, and never displacing a base span.
+decoded in overlapping windows.  Where a span touches a window's edge and no
+other window holds it whole, windows of twice the size are decoded there, and so
+on until every span of ``LONGEST`` characters fits; longer ones are of no valid
+form.  A span is carried on to the end of the word or number that it ends in, so
+that no part of an address is taken for the whole.  The spans of all windows are
+reconciled over the whole text by weighted interval scheduling, a span counting
+more the more windows agree on it, and never displacing a base span.
 
 A span must hold a digit, an at-sign, a bracketed "at" or "dot", the word "dot",
 or the word "at" before a host with a dot to be valid (``_ANCHOR``), so windows
@@ -19,6 +23,8 @@ import hashlib
 import random
 import re
 from bisect import bisect_right
+from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +40,11 @@ KINDS = ["email", "ip", "card", "phone", "ssn", "iban"]
 #: Documents whose texts the network is trained in, and windows taken of each.
 SAMPLE_ROWS, SAMPLE_WINDOWS = 400, 2
 HIDDEN, STEPS, BATCH, TRAIN_LENGTH, SEED = 16, 500, 40, 96, 7
-WINDOW, STRIDE, DECODE = 128, 64, 256
+#: Every fourth batch trains long addresses in longer windows.
+LONG_EVERY, LONG_LENGTH = 4, 192
+WINDOW, DECODE = 128, 256
+#: Characters of the longest valid span: an address has at most 320 (RFC 5321), and is written out in at most this many.
+LONGEST = 1000
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -76,7 +86,7 @@ def base_spans(text: str) -> list[Span]:
     """The base kinds' spans, failing matches dropped without a retry."""
     found = _emails(text)
     if _DIGIT.search(text):
-        found += [(m.start(), m.end(), "ip") for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        found += [(m.start(), m.end(), "ip") for m in _IP.finditer(text) if all(len(d := p.lstrip("0")) <= 3 and int(d or 0) <= 255 for p in m[0].split("."))]
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 14 and 14 <= len(d := _digits(m[0])) <= 19 and luhn(d):
                 found.append((m.start(), m.end(), "card"))
@@ -88,13 +98,15 @@ def base_spans(text: str) -> list[Span]:
 # Written forms for training
 
 
-def _made(r: random.Random) -> Span | tuple[str, str]:
-    """(text, kind) of one made-up span; kind '' for a number that is none."""
+def _made(r: random.Random, long: bool = False) -> Span | tuple[str, str]:
+    """(text, kind) of one made-up span, or of a ``long`` address; kind '' for a number that is none."""
     n = lambda k: "".join(r.choice("0123456789") for _ in range(k))
     w = lambda a=2, b=8: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(a, b)))
-    pick = r.random()
+    pick = 0.0 if long else r.random()
     if pick < 0.24:
         user = w() + r.choice(["", ".", "_", "-"]) + r.choice(["", n(2), w()])
+        if long:
+            user = r.choice(["", "", ".", "_", "-"]).join(w(1, 12) + r.choice(["", "", n(1)]) for _ in range(r.randint(2, 18)))
         user = user.rstrip("._-")
         host, tld = w(3, 9), r.choice(["com", "org", "net", "de", "fr", "es", "edu", "io", "co.uk", "example.com"])
         at = r.choice(["@", "@", " @ ", " [at] ", "[at]", " (at) ", "(at)", " at ", " AT ", " {at} ", "@"])
@@ -152,13 +164,15 @@ def training_batches(contexts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]
     """Seeded (classes, tags) batches from windows of texts with spans put in."""
     r, out = random.Random(SEED), []
     contexts = sorted(c for c in contexts if c.strip()) or ["the of and a to in is it "]
-    for _ in range(STEPS):
+    for step in range(STEPS):
         xs, ys = [], []
-        for _ in range(BATCH):
+        long = step % LONG_EVERY == 0
+        length = LONG_LENGTH if long else TRAIN_LENGTH
+        for _ in range(BATCH // 2 if long else BATCH):
             text = r.choice(contexts)
             spans = _free_of_overlap(base_spans(text))
             if not spans or r.random() < 0.7:
-                made, kind = _made(r)
+                made, kind = _made(r, long and r.random() < 0.7)
                 gaps = [m.start() for m in re.finditer(" ", text) if not any(b <= m.start() < e for b, e, _ in spans)] or [0]
                 at = r.choice(gaps)
                 left = text[:at] + (r.choice([" ", " ", " ", "\n", " (", ": ", ""]) if at else "")
@@ -169,8 +183,8 @@ def training_batches(contexts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]
                 text = left + made + right
             first = min((s[0] for s in spans), default=0)
             cut = max(0, first - r.randint(0, TRAIN_LENGTH // 2))
-            x, y = bilstm_crf.codes(text)[cut : cut + TRAIN_LENGTH], _tagged(text, spans)[cut : cut + TRAIN_LENGTH]
-            pad = TRAIN_LENGTH - len(x)
+            x, y = bilstm_crf.codes(text)[cut : cut + length], _tagged(text, spans)[cut : cut + length]
+            pad = length - len(x)
             xs.append(np.pad(x, (0, pad), constant_values=10))
             ys.append(np.pad(y, (0, pad)))
         out.append((np.stack(xs, 1), np.stack(ys, 1)))
@@ -204,6 +218,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows:
 
 
 def _spelled(s: str) -> str:
+    s = re.sub(r"\s+", " ", s)
     s = re.sub(r"\s*[\[({<]?\s*\bdot\b\s*[\])}>]?\s*|\s*[\[(]\.[\])]\s*|\s+\.\s+", ".", s, flags=re.I)
     return re.sub(r"\s*[\[({<]\s*at\s*[\])}>]\s*|\s+at\s+|\s+@\s+", "@", s, flags=re.I)
 
@@ -219,11 +234,11 @@ def _iban_ok(s: str) -> bool:
 
 def valid(kind: str, s: str) -> bool:
     """Whether a decoded span can be what it is said to be."""
-    if not _ANCHOR.search(s):
+    if len(s) > LONGEST or not _ANCHOR.search(s):
         return False
     d = _digits(s)
     if kind == "email":
-        return bool(_EMAIL_FORM.fullmatch(_spelled(s)))
+        return len(s := _spelled(s)) <= 320 and bool(_EMAIL_FORM.fullmatch(s))
     if kind == "ip":
         parts = _spelled(s).split(".")
         return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts) or bool(_IPV6.fullmatch(s)) and s.count(":") >= 3 and all(len(p) <= 4 for p in s.split(":"))
@@ -266,31 +281,98 @@ def reconcile(base: list[Span], proposed: dict[Span, int]) -> list[Span]:
     return sorted([*base, *chosen], key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
-def find(texts: list[str | None], net: bilstm_crf.Network) -> list[tuple[list[Span], list[Span]]]:
-    """(base spans, all spans) of each text."""
-    base = [base_spans(t) if t else [] for t in texts]
-    proposed: list[dict[Span, int]] = [{} for _ in texts]
-    where: list[tuple[int, int]] = []
-    for k, text in enumerate(texts):
-        if text:
-            last = max(0, -(-(len(text) - WINDOW) // STRIDE))
-            hit = {w for m in _ANCHOR.finditer(text) for w in range(max(0, (m.start() - WINDOW) // STRIDE + 1), min(m.start() // STRIDE, last) + 1)}
-            where += [(k, w * STRIDE) for w in sorted(hit)]
-    for a in range(0, len(where), DECODE):
-        part = where[a : a + DECODE]
-        x = np.full((WINDOW, len(part)), 10, np.int64)
+_BEFORE = {"email": _LOCAL, "iban": set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), "ip": set("0123456789abcdefABCDEF:")}
+_DIGITS = set("0123456789")
+_ON = re.compile(r"(?:[A-Za-z0-9-]|\.(?=[A-Za-z0-9])|\s?[\[({<]\s?(?i:dot)\s?[\])}>]\s?(?=[A-Za-z0-9]))*")
+
+
+_WRITTEN = re.compile(
+    r"[A-Za-z0-9._%+-]+(?:\s?[\[({<]\s?at\s?[\])}>]\s?|\s+at\s+|\s*@\s*)[A-Za-z0-9-]+(?:(?:\.|\s?[\[({<]\s?dot\s?[\])}>]\s?|\s+dot\s+|\s+\.\s+|\s*[\[(]\.[\])]\s*)[A-Za-z0-9-]+)+", re.I
+)
+
+
+def formed(text: str, s: int, e: int, kind: str) -> Span | None:
+    """The valid span that a decoded one stands for: carried on, or for an address the written form within."""
+    s, e = carried_on(text, s, e, kind)
+    if not valid(kind, text[s:e]):
+        m = _WRITTEN.search(text, s, e) if kind == "email" and e - s <= 2 * LONGEST else None
+        if not m or not valid(kind, m[0]):
+            return None
+        s, e = m.span()
+    return s, e, kind
+
+
+def carried_on(text: str, s: int, e: int, kind: str) -> tuple[int, int]:
+    """The span with the rest of the word, address or number that it begins and ends in."""
+    more = _BEFORE.get(kind, _DIGITS) if kind != "ip" or ":" in text[s:e] else _DIGITS
+    least = max(0, e - LONGEST - 1)  # longer ones are not valid
+    while s > least and text[s - 1] in more and text[s] in more:
+        s -= 1
+    if kind == "email":
+        return s, _ON.match(text, e, min(len(text), s + LONGEST + 1)).end() if text[e - 1].isalnum() else e
+    most = min(len(text), s + LONGEST + 1)
+    while e < most and text[e] in more and text[e - 1] in more:
+        e += 1
+    return s, e
+
+
+def _windows(texts: list[str | None], where: list[tuple[int, int]], size: int, net: bilstm_crf.Network) -> Iterator[tuple[int, int, list[Span]]]:
+    """(text, place, decoded spans) of windows of ``size`` characters."""
+    step = max(1, DECODE * WINDOW // size)
+    for a in range(0, len(where), step):
+        part = where[a : a + step]
+        x = np.full((min(size, max(len(texts[k]) - at for k, at in part)), len(part)), 10, np.int64)
         for n, (k, at) in enumerate(part):
-            c = bilstm_crf.codes(texts[k][at : at + WINDOW])
+            c = bilstm_crf.codes(texts[k][at : at + size])
             x[: len(c), n] = c
         tags = bilstm_crf.viterbi(net, bilstm_crf.emissions(net, x))
         for n in np.flatnonzero(tags.any(0)).tolist():
             k, at = part[n]
-            for s, e, kind in _decoded(tags[:, n]):
-                cut = s == 0 and at > 0 or e == WINDOW and at + WINDOW < len(texts[k])
-                if not cut and valid(kind, texts[k][at + s : at + e]):
-                    span = (at + s, at + e, kind)
+            yield k, at, [(at + s, min(at + e, len(texts[k])), kind) for s, e, kind in _decoded(tags[:, n]) if at + s < len(texts[k])]
+
+
+def _grid(a: int, b: int, length: int, size: int) -> range:
+    """Places of the windows of ``size`` every half ``size`` that meet [a, b)."""
+    stride = size // 2
+    last = max(0, -(-(length - size) // stride))
+    return range(min(last, max(0, (a - size) // stride + 1)) * stride, min((b - 1) // stride, last) * stride + 1, stride)
+
+
+def proposals(texts: list[str | None], net: bilstm_crf.Network) -> list[dict[Span, int]]:
+    """What the network proposes in each text: valid spans and the number of windows that agree on each."""
+    proposed: list[dict[Span, int]] = [{} for _ in texts]
+    whole: list[set[tuple[int, int]]] = [set() for _ in texts]
+    size = WINDOW
+    where = sorted({(k, at) for k, t in enumerate(texts) if t for m in _ANCHOR.finditer(t) for at in _grid(m.start(), m.start() + 1, len(t), size)})
+    while where:
+        cut: dict[int, set[tuple[int, int]]] = {}
+        for k, at, spans in _windows(texts, where, size, net):
+            text = texts[k]
+            for s, e, kind in spans:
+                if s == at > 0 or e == at + size < len(text):
+                    cut.setdefault(k, set()).add((s, e))
+                    continue
+                whole[k].add((s, e))
+                if span := formed(text, s, e, kind):
                     proposed[k][span] = proposed[k].get(span, 0) + 1
-    return [(b, reconcile(b, p)) for b, p in zip(base, proposed)]
+        if size // 2 > LONGEST:  # whatever is cut now is longer
+            break
+        size *= 2
+        where = sorted({(k, at) for k, spans in cut.items() for s, e in _unheld(spans, whole[k]) for at in _grid(s - 1, e + 1, len(texts[k]), size)})
+    return proposed
+
+
+def _unheld(cut: set[tuple[int, int]], whole: set[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Those of ``cut`` that no span of ``whole`` holds."""
+    spans = sorted(whole)
+    furthest = [*accumulate((e for _, e in spans), max)]
+    return [c for c in cut if not (k := bisect_right(spans, (c[0], 1 << 62))) or furthest[k - 1] < c[1]]
+
+
+def find(texts: list[str | None], net: bilstm_crf.Network) -> list[tuple[list[Span], list[Span]]]:
+    """(base spans, all spans) of each text."""
+    base = [base_spans(t) if t else [] for t in texts]
+    return [(b, reconcile(b, p)) for b, p in zip(base, proposals(texts, net))]
 
 
 def _decoded(tags: np.ndarray) -> list[Span]:
