@@ -23,7 +23,7 @@ import hashlib
 import random
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -43,6 +43,8 @@ HIDDEN, STEPS, BATCH, TRAIN_LENGTH, SEED = 16, 500, 40, 96, 7
 #: Every fourth batch trains long addresses in longer windows.
 LONG_EVERY, LONG_LENGTH = 4, 192
 WINDOW, DECODE = 128, 256
+#: Windows whose texts are decoded together, whatever the batch holds; a text with more is decoded by itself.
+GROUP = 1 << 13
 #: Characters of the longest valid span: an address has at most 320 (RFC 5321), and is written out in at most this many.
 LONGEST = 1000
 
@@ -321,7 +323,7 @@ def _windows(texts: list[str | None], where: list[tuple[int, int]], size: int, n
     step = max(1, DECODE * WINDOW // size)
     for a in range(0, len(where), step):
         part = where[a : a + step]
-        x = np.full((min(size, max(len(texts[k]) - at for k, at in part)), len(part)), 10, np.int64)
+        x = np.full((size, len(part)), 10, np.int64)  # of one height, so that no text's spans hang on its neighbours
         for n, (k, at) in enumerate(part):
             c = bilstm_crf.codes(texts[k][at : at + size])
             x[: len(c), n] = c
@@ -338,12 +340,17 @@ def _grid(a: int, b: int, length: int, size: int) -> range:
     return range(min(last, max(0, (a - size) // stride + 1)) * stride, min((b - 1) // stride, last) * stride + 1, stride)
 
 
-def proposals(texts: list[str | None], net: bilstm_crf.Network) -> list[dict[Span, int]]:
-    """What the network proposes in each text: valid spans and the number of windows that agree on each."""
+def _places(text: str) -> list[int]:
+    """Places of the windows that hold an anchor."""
+    return sorted({at for m in _ANCHOR.finditer(text) for at in _grid(m.start(), m.start() + 1, len(text), WINDOW)})
+
+
+def proposals(texts: list[str | None], places: list[list[int]], net: bilstm_crf.Network) -> list[dict[Span, int]]:
+    """What the network proposes in the windows at each text's ``places``: valid spans and the number of windows that agree on each."""
     proposed: list[dict[Span, int]] = [{} for _ in texts]
     whole: list[set[tuple[int, int]]] = [set() for _ in texts]
     size = WINDOW
-    where = sorted({(k, at) for k, t in enumerate(texts) if t for m in _ANCHOR.finditer(t) for at in _grid(m.start(), m.start() + 1, len(t), size)})
+    where = [(k, at) for k, own in enumerate(places) for at in own]
     while where:
         cut: dict[int, set[tuple[int, int]]] = {}
         for k, at, spans in _windows(texts, where, size, net):
@@ -369,10 +376,31 @@ def _unheld(cut: set[tuple[int, int]], whole: set[tuple[int, int]]) -> list[tupl
     return [c for c in cut if not (k := bisect_right(spans, (c[0], 1 << 62))) or furthest[k - 1] < c[1]]
 
 
+def find_each(texts: Iterable[str | None], net: bilstm_crf.Network) -> Iterator[tuple[list[Span], list[Span]]]:
+    """(base spans, all spans) of each text, holding no more than a group of texts and their windows."""
+    group: list[str | None] = []
+    places: list[list[int]] = []
+    n = 0
+    for text in texts:
+        own = _places(text) if text else []
+        if n and n + len(own) > GROUP:
+            yield from _found(group, places, net)
+            group, places, n = [], [], 0
+        group.append(text if own else None)  # base spans hold an anchor, too
+        places.append(own)
+        n += len(own)
+    yield from _found(group, places, net)
+
+
+def _found(texts: list[str | None], places: list[list[int]], net: bilstm_crf.Network) -> Iterator[tuple[list[Span], list[Span]]]:
+    for text, proposed in zip(texts, proposals(texts, places, net)):
+        base = base_spans(text) if text else []
+        yield base, reconcile(base, proposed)
+
+
 def find(texts: list[str | None], net: bilstm_crf.Network) -> list[tuple[list[Span], list[Span]]]:
     """(base spans, all spans) of each text."""
-    base = [base_spans(t) if t else [] for t in texts]
-    return [(b, reconcile(b, p)) for b, p in zip(base, proposals(texts, net))]
+    return list(find_each(texts, net))
 
 
 def _decoded(tags: np.ndarray) -> list[Span]:
@@ -390,6 +418,11 @@ def _decoded(tags: np.ndarray) -> list[Span]:
     return out
 
 
+def _each(texts: pa.Array) -> Iterator[str | None]:
+    """The texts, made one by one."""
+    return (t.as_py() for t in texts)
+
+
 def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
 
@@ -404,7 +437,7 @@ def pii_digests(docs: DataFrame, net: bilstm_crf.Network, id_col: str = "doc_id"
 
     def fn(batch: pa.RecordBatch) -> dict:
         out: dict = {k: [] for k in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")}
-        for base, every in find(batch.column("text").to_pylist(), shared.value):
+        for base, every in find_each(_each(batch.column("text")), shared.value):
             kinds = [k for _, _, k in base]
             for k in KINDS[:4]:
                 out[f"n_{k}"].append(kinds.count(k))
@@ -431,8 +464,7 @@ def redact(docs: DataFrame, net: bilstm_crf.Network, text_col: str = "text") ->
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def fn(texts: pa.Array) -> dict:
-        rows = texts.to_pylist()
-        found = find(rows, shared.value)
-        return {text_col: [None if t is None else redact_text(t, every) for t, (_, every) in zip(rows, found)]}
+        found = find_each(_each(texts), shared.value)
+        return {text_col: pa.array((None if t is None else redact_text(t, every) for t, (_, every) in zip(_each(texts), found)), pa.string())}
 
     return append_columns(docs, text_col, fn, f"{text_col} string")

@@ -188,6 +188,22 @@ def test_addresses_with_a_plain_at_are_found(net):
     assert not pii.valid("email", "look at home") and not pii.valid("email", "at example.com")
 
 
+def test_pii_batches_are_decoded_in_groups(net, monkeypatch):
+    """The windows held at once do not grow with the batch, and a text's spans do not hang on the others."""
+    held, windows = [], pii._windows
+    monkeypatch.setattr(pii, "_windows", lambda texts, where, *rest: held.append(len(where)) or iter(()))
+    big = [("word 7 and so on " * 300), None, ""] * 300
+    assert len(pii.find(big, net[0])) == len(big)
+    assert sum(held) > 2 * max(held) and max(held) <= 1 << 13
+
+    monkeypatch.setattr(pii, "_windows", windows)
+    texts = [f"{t[: 10 * k]} (555) 123-4567 jo.doe[at]host[dot]com {t[:k]}" for k, t in enumerate(net[1])] + ["", None, "none", "(555) 123-4567"]
+    alone = [pii.find([t], net[0])[0] for t in texts]
+    assert pii.find(texts, net[0]) == alone
+    monkeypatch.setattr(pii, "GROUP", 5)
+    assert pii.find(texts, net[0]) == alone
+
+
 def test_reconcile_is_the_heaviest():
     base = [(10, 20, "email")]
     got = pii.reconcile(base, {(15, 25, "card"): 9, (20, 30, "card"): 1, (25, 40, "phone"): 1, (30, 35, "ssn"): 1})
