@@ -289,19 +289,22 @@ _ON = re.compile(r"(?:[A-Za-z0-9-]|\.(?=[A-Za-z0-9])|\s?[\[({<]\s?(?i:dot)\s?[\]
 
 
 _WRITTEN = re.compile(
-    r"[A-Za-z0-9._%+-]+(?:\s?[\[({<]\s?at\s?[\])}>]\s?|\s+at\s+|\s*@\s*)[A-Za-z0-9-]+(?:(?:\.|\s?[\[({<]\s?dot\s?[\])}>]\s?|\s+dot\s+|\s+\.\s+|\s*[\[(]\.[\])]\s*)[A-Za-z0-9-]+)+", re.I
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:\s?[\[({<]\s?at\s?[\])}>]\s?|\s+at\s+|\s*@\s*)[A-Za-z0-9-]+(?:(?:\.|\s?[\[({<]\s?dot\s?[\])}>]\s?|\s+dot\s+|\s+\.\s+|\s*[\[(]\.[\])]\s*)[A-Za-z0-9-]+)+", re.I
 )
 
 
 def formed(text: str, s: int, e: int, kind: str) -> Span | None:
-    """The valid span that a decoded one stands for: carried on, or for an address the written form within."""
+    """The valid span that a decoded one stands for: carried on, or for an address the first written form that it lies in or holds."""
     s, e = carried_on(text, s, e, kind)
-    if not valid(kind, text[s:e]):
-        m = _WRITTEN.search(text, s, e) if kind == "email" and e - s <= 2 * LONGEST else None
-        if not m or not valid(kind, m[0]):
-            return None
-        s, e = m.span()
-    return s, e, kind
+    if valid(kind, text[s:e]):
+        return s, e, kind
+    if kind == "email" and e - s <= 2 * LONGEST:
+        for m in _WRITTEN.finditer(text, max(0, s - LONGEST), min(len(text), e + LONGEST)):
+            if m.start() >= e:
+                break
+            if m.end() > s and valid(kind, m[0]):
+                return *m.span(), kind
+    return None
 
 
 def carried_on(text: str, s: int, e: int, kind: str) -> tuple[int, int]:
@@ -354,14 +357,16 @@ def proposals(texts: list[str | None], places: list[list[int]], net: bilstm_crf.
     while where:
         cut: dict[int, set[tuple[int, int]]] = {}
         for k, at, spans in _windows(texts, where, size, net):
-            text = texts[k]
+            text, here = texts[k], set()
             for s, e, kind in spans:
                 if s == at > 0 or e == at + size < len(text):
                     cut.setdefault(k, set()).add((s, e))
                     continue
                 whole[k].add((s, e))
                 if span := formed(text, s, e, kind):
-                    proposed[k][span] = proposed[k].get(span, 0) + 1
+                    here.add(span)
+            for span in here:
+                proposed[k][span] = proposed[k].get(span, 0) + 1
         if size // 2 > LONGEST:  # whatever is cut now is longer
             break
         size *= 2

@@ -188,6 +188,21 @@ def test_addresses_with_a_plain_at_are_found(net):
     assert not pii.valid("email", "look at home") and not pii.valid("email", "at example.com")
 
 
+def test_decoded_parts_of_an_address_stand_for_the_whole(monkeypatch):
+    """The network finds the place, the written form around it is the span; each window counts it once."""
+    for made in ("jane at host . com", "jane at example.com", "jo.doe (at) host dot co dot uk"):
+        text = f"she wrote, {made}, and looked"
+        whole = (11, 11 + len(made), "email")
+        for part in ("com", "host", "jane at host", made.rsplit(maxsplit=1)[-1]):
+            if (s := text.find(part)) >= 0:
+                assert pii.formed(text, s, s + len(part), "email") == whole, (made, part)
+        assert pii.formed(text, 0, 3, "email") is None and pii.formed(text, len(text) - 6, len(text), "email") is None
+
+    text = "she wrote, jane at host . com, and looked"
+    monkeypatch.setattr(pii, "_windows", lambda *_: iter([(0, 0, [(11, 15, "email"), (26, 29, "email")])]))
+    assert pii.proposals([text], [[0]], None) == [{(11, 29, "email"): 1}]
+
+
 def test_pii_batches_are_decoded_in_groups(net, monkeypatch):
     """The windows held at once do not grow with the batch, and a text's spans do not hang on the others."""
     held, windows = [], pii._windows
