@@ -348,7 +348,7 @@ for _name, _order in [("predicate", ["predicate"]), ("category", ["category"]),
     def _chunked(spark: SparkSession, sf: str, order: list[str] = _order) -> DataFrame:
         """WIN-04, WIN-13: equal chunks of a total order."""
         cols = active(spark, sf).select("fact_id", *order)
-        return R.chunk_numbers(cols, [F.col(c) for c in [*order, "fact_id"]], 60).select("fact_id", "chunk")
+        return R.chunk_numbers(cols, [F.asc_nulls_last(c) for c in [*order, "fact_id"]], 60).select("fact_id", "chunk")
 
     query(f"chunk_by_{_name}", f"WITH {ACTIVE} SELECT fact_id, (row_number() OVER (ORDER BY {', '.join(_order)}, fact_id) - 1) // 60 AS chunk FROM active")(_chunked)
 

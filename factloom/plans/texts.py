@@ -212,7 +212,7 @@ def source_documents(spark: SparkSession, sf: str) -> DataFrame:
     from factloom.operators.ranking import global_row_number
 
     t = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 12).alias("title"))
-    numbered = global_row_number(t, [F.asc("title"), F.asc("doc_id")], "place")
+    numbered = global_row_number(t, [F.asc_nulls_last("title"), F.asc("doc_id")], "place")
     return numbered.groupBy("title").agg(F.min_by("doc_id", "place").alias("doc_id"), F.min("place").alias("place")).select("place", "doc_id", "title")
 
 

@@ -117,6 +117,20 @@ def test_row_numbers_are_total(spark):
     assert global_row_number(df.limit(0), [F.asc("v")]).count() == 0
 
 
+def test_row_numbers_hold_when_columns_are_pruned(spark):
+    """Adaptive plans merge partitions by their bytes, and so by the columns that are read."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.parallelismFirst")}
+    try:
+        for k, v in zip(before, ("32", "64k", "false")):
+            spark.conf.set(k, v)
+        df = spark.range(20000, numPartitions=7).select((F.col("id") * 7919 % 20000).alias("v"), F.sha2(F.col("id").cast("string"), 512).alias("wide"))
+        rows = global_row_number(df, [F.asc("v")]).where("length(wide) > 0").collect()
+        assert len(rows) == 20000 and all(r.row == r.v + 1 for r in rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_tier_table_bounds(spark):
     rows = [(m, c) for m in (0, 1, 10, 11, 30, 31, 60, 61) for c in (0, 12000, 12001, 30000, 60000)]
     df = spark.createDataFrame(rows, "m long, c long")
