@@ -102,6 +102,49 @@ def test_statistics_of_all_pairs(spark, vectors):
     assert split["median"] == pytest.approx(np.median(v), abs=1e-12) and split["n"] == len(v)
 
 
+def test_a_search_holds_tiles_of_its_products(spark, monkeypatch):
+    """4000 queries against a batch of 10000 items: 320 MB of products, were they held at once."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from factloom.operators.knn import knn
+
+    ran = []
+    search = DataFrame.mapInArrow
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda df, run, kind: ran.append(run) or search(df, run, kind))
+    x = np.random.default_rng(3).normal(size=(10_000, 8))
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:4000])], "q long, v array<double>")
+    knn(queries, spark.createDataFrame([], "i long, v array<double>"), "q", "i", "v", 3)
+    batch = pa.RecordBatch.from_pydict({"i": np.arange(len(x)), "v": list(x)})
+    tracemalloc.start()
+    found = list(ran[0](iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    best = {int(q): int(i) for b in found for q, i in list(zip(b.column("q").to_numpy(), b.column("i").to_numpy()))[::3]}
+    assert len(best) == 4000 and all(q == i for q, i in best.items())
+    assert peak < 150e6
+
+
+def test_equal_vectors_go_by_id(spark, tmp_path):
+    """As in SQL: products of equal vectors are equal, wherever they lie in a block."""
+    import duckdb
+    import numpy as np
+
+    x = np.random.default_rng(4).normal(size=(60, 64)).astype(np.float32)
+    rows = [(i, i % 5, x[i * 7 % 60].tolist()) for i in range(2500)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name in ("vector_top_k", "filtered_vector_top_k", "best_match"):
+        df = registry.QUERIES[name](spark, str(tmp_path))
+        cur = con.execute(registry.ORACLES[name])
+        cols = [d[0] for d in cur.description]
+        assert sorted(map(tuple, df.select(*cols).collect())) == sorted(cur.fetchall()), name
+
+
 def test_mcnemar_counts_every_document(spark, made):
     r = registry.QUERIES["mcnemar_all"](spark, made([(i, "x", 1) for i in range(500)])).first()
     want = [sum((i % 3 == 0, i % 5 == 0) == o for i in range(500)) for o in ((True, True), (True, False), (False, True), (False, False))]
