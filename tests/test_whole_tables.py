@@ -145,6 +145,50 @@ def test_equal_vectors_go_by_id(spark, tmp_path):
         assert sorted(map(tuple, df.select(*cols).collect())) == sorted(cur.fetchall()), name
 
 
+@pytest.fixture
+def blocks(monkeypatch):
+    """Blocks of ten rows, 80 at most; gets the rows that went to each call of Python in groups."""
+    from pyspark.sql import GroupedData
+
+    from factloom.operators import knn
+
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(knn, "MOST_BLOCK_ROWS", 80, raising=False)
+    sent, apply = [], GroupedData.applyInArrow
+    monkeypatch.setattr(GroupedData, "applyInArrow", lambda g, *a, **k: sent.append(g._df.count()) or apply(g, *a, **k))
+    return sent
+
+
+@pytest.mark.parametrize("name", ["pair_statistics", "candidate_pairs"])
+def test_pairs_meet_in_blocks(spark, vectors, blocks, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{vectors[0]}/embeddings.parquet/*.parquet'")
+    cur = con.execute(registry.ORACLES[name])
+    want = cur.fetchall()
+    df = registry.QUERIES[name](spark, vectors[0]).select(*[d[0] for d in cur.description])
+    got = df.collect()
+    assert len(got) == len(want) and all(tuple(g) == pytest.approx(w, abs=2e-6) for g, w in zip(sorted(got), sorted(want)))
+    assert blocks and max(blocks) <= 8 * 420
+    if name != "candidate_pairs":
+        assert not any(x in str(df._jdf.queryExecution().toString()) for x in ("SortMergeJoin", "BroadcastNestedLoopJoin", "CartesianProduct"))
+
+
+def test_statistics_send_each_row_to_few_blocks(spark, vectors, blocks):
+    registry.QUERIES["pair_statistics_all"](spark, vectors[0])
+    assert len(blocks) == 2 and max(blocks) <= 8 * 420
+
+
+def test_a_median_between_two_heaps(spark):
+    """The two middle values lie far apart, and most values are equal."""
+    from factloom.operators.knn import pair_statistics
+
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [-1.0, 0.0]), (3, [1.0, 0.0])], "i long, v array<double>")
+    assert pair_statistics(df, "i", "v", (0.5,), held=1) == {"n": 6, "mean": 0.0, "median": 0.0, "sd": 1.0, "least": -1.0, "most": 1.0, "over": [3]}
+    assert pair_statistics(df.limit(0), "i", "v", (0.5,))["n"] == 0
+
+
 def test_mcnemar_counts_every_document(spark, made):
     r = registry.QUERIES["mcnemar_all"](spark, made([(i, "x", 1) for i in range(500)])).first()
     want = [sum((i % 3 == 0, i % 5 == 0) == o for i in range(500)) for o in ((True, True), (True, False), (False, True), (False, False))]
