@@ -159,7 +159,7 @@ def blocks(monkeypatch):
     return sent
 
 
-@pytest.mark.parametrize("name", ["pair_statistics", "candidate_pairs"])
+@pytest.mark.parametrize("name", ["pair_statistics", "labelled_pairs", "pair_sweep", "candidate_pairs"])
 def test_pairs_meet_in_blocks(spark, vectors, blocks, name):
     import duckdb
 
